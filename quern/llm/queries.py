@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ngrams, ranking, relevance
+from quern.llm import dedup, ngrams, ranking, relevance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.SegmentIndex(table(spark, sf, "stored_docs")).add(table(spark, sf, "incoming_docs"))
+
+
 _SOUND = "postings WHERE term IS NOT NULL AND term <> '' AND field IS NOT NULL"
 
 
