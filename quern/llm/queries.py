@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dedup, ngrams, ranking, relevance
+from quern.llm import dedup, leakage, ngrams, packing, ranking, relevance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,24 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @query(_WEIGHTS + "SELECT segment_id, doc_id, term, tf, doc_freq, round(weight, 6) AS weight FROM w")
 def p5_weights(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.term_weights(relevance.body_entries(table(spark, sf, "postings"))).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    return p6_containers(spark, sf).where("piece = 2").select("doc_id")
+
+
+@query()
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query()
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_overlaps(spark, sf).where("run >= 13").select("doc_id", "item_id")
+
+
+@query()
+def p7_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.overlaps(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
