@@ -28,7 +28,7 @@ from quern.runtime import cut
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-STEPS, RATE = 400, 8.0
+STEPS, RATE = 600, 8.0
 # The pre-tokenization pattern that belongs to the byte-level vocabulary files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -89,8 +89,7 @@ def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = R
         bound = max(bound, float((weights * n).sum() / worth))
         used = config > 0
         room = (n[used] - covered[used]) / config[used]
-        step = max(float(room.min()), 0.0)
-        step = max(step / 2, min(step, 1.0))
+        step = float(room.min())
         key = config.tobytes()
         use[key] = use.get(key, 0.0) + step
         covered[used] += step * config[used]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dedup, leakage, ngrams, packing, ranking, relevance
+from quern.llm import dedup, leakage, ngrams, packing, privacy, ranking, relevance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,23 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p7_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.overlaps(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_mentions(spark, sf).select("doc_id", "kind", "start_pos")
+
+
+@query()
+def p8_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.replaced_mentions(table(spark, sf, "documents"), table(spark, sf, "person_names"))
+
+
+@query()
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"))
+
+
+@query()
+def p8_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"), style="surrogate")
