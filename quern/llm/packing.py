@@ -3,9 +3,9 @@
 Items are sized in tokens. Their lengths form a histogram of at most ``capacity`` entries, however many items there are;
 everything up to the assignment itself works on it. A configuration is a multiset of lengths that fits a container. The
 linear program, to cover every length's count by the fewest configurations, is solved by multiplicative weights: each
-length has a weight that falls with its coverage, a knapsack dynamic program finds the configuration of most weight, and
-that configuration is used a step further. Rounding down leaves a remainder, which is filled greedily, the largest length
-that fits first, each pattern as often as the counts allow. The items of one length are interchangeable: they are
+length has a weight that grows while its coverage lags, a knapsack dynamic program finds the configuration of most weight,
+and that configuration is used a step further. Rounding down leaves a remainder, which is filled greedily, the largest
+length that fits first, each pattern as often as the counts allow. The items of one length are interchangeable: they are
 numbered by exact offsets, and ranges of numbers are mapped to containers.
 
 An item longer than a container fills whole containers by itself; only what remains of it is packed with others.
@@ -28,7 +28,8 @@ from quern.runtime import cut
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-STEPS, RATE = 600, 8.0
+STEPS, RATE = 300, 2.0
+CUTS = (1.0, 0.95, 0.85, 0.7, 0.5, 0.25, 0.0)  # of the program's steps
 # The pre-tokenization pattern that belongs to the byte-level vocabulary files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -66,34 +67,32 @@ def knapsack(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
 
 
 def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Configurations with their fractional use, and a lower bound on the number of containers.
+    """The steps taken, each a configuration and how often it is used, and a lower bound on the number of containers.
 
-    ``counts`` by length, entry 0 unused. The weights of any step, scaled by the best configuration's, are a feasible dual;
-    the bound is the best of them and of the total length.
+    ``counts`` by length, entry 0 unused. A length's weight is itself, the dual of a perfect filling, times a factor that
+    grows where the length's coverage lags behind the mean. A step uses 1 / ``steps`` of the containers that are needed at
+    least, or as many as the configuration's lengths last for.
     """
     n = counts.astype(float)
+    n[0] = 0
     have = n > 0
-    sizes = np.arange(capacity + 1)
-    bound = float((sizes * n).sum() / capacity)
-    use: dict[bytes, float] = {}
+    lengths = np.arange(capacity + 1)
+    bound = float((lengths * n).sum() / capacity)
+    taken: list[tuple[np.ndarray, float]] = []
     covered = np.zeros(capacity + 1)
-    if not have.any():
-        return [], 0.0
-    for _ in range(steps):
-        share = np.where(have, covered / np.maximum(n, 1), np.inf)
-        if share.min() >= 1:
+    for _ in range(2 * steps):
+        left = n - covered
+        open_ = have & (left >= 1 - 1e-9)
+        if not open_.any():
             break
-        weights = np.where(have, sizes * np.exp(-rate * (share - share.min())), 0.0)
-        weights[share >= 1] = 0
-        config, worth = knapsack(weights, capacity)
-        bound = max(bound, float((weights * n).sum() / worth))
+        share = np.where(have, covered / np.maximum(n, 1), 0.0)
+        weights = np.where(open_, lengths * np.exp(rate * (share[have].mean() - share)), 0.0)
+        config = np.minimum(knapsack(weights, capacity)[0], np.floor(left + 1e-9)).astype(np.int64)
         used = config > 0
-        room = (n[used] - covered[used]) / config[used]
-        step = float(room.min())
-        key = config.tobytes()
-        use[key] = use.get(key, 0.0) + step
-        covered[used] += step * config[used]
-    return [(np.frombuffer(k, np.int64), x) for k, x in use.items()], bound
+        times = min(max(1.0, bound / steps), float((left[used] / config[used]).min()))
+        taken.append((config, times))
+        covered[used] += times * config[used]
+    return taken, bound
 
 
 @dataclass
@@ -109,23 +108,36 @@ class Plan:
 
 
 def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
-    """Every item of the histogram in a container; the number of runs depends on lengths, not on items."""
+    """Every item of the histogram in a container; the number of runs depends on lengths, not on items.
+
+    The program's last steps combine what is left and fill badly, so it is cut at several points, each time the rest is
+    filled greedily, and the plan of fewest containers holds; of equals the one with more of the program.
+    """
+    taken, bound = solve(counts, capacity, steps)
+    plans = [_rounded(counts, capacity, taken[: round(len(taken) * part)], bound) for part in CUTS]
+    return min(plans, key=lambda p: p.containers)
+
+
+def _rounded(counts: np.ndarray, capacity: int, taken: list[tuple[np.ndarray, float]], bound: float) -> Plan:
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    fractional, bound = solve(left, capacity, steps)
+    use: dict[bytes, float] = {}
+    for config, times in taken:
+        use[config.tobytes()] = use.get(config.tobytes(), 0.0) + times
     runs: list[tuple[int, int, int, int]] = []
-    taken = np.zeros(capacity + 1, np.int64)
+    placed = np.zeros(capacity + 1, np.int64)
     containers = 0
 
     def place(config: np.ndarray, times: int) -> None:
         nonlocal containers
         for length in np.flatnonzero(config):
-            runs.append((int(length), int(taken[length]), containers, int(config[length])))
-            taken[length] += times * config[length]
+            runs.append((int(length), int(placed[length]), containers, int(config[length])))
+            placed[length] += times * config[length]
         left[config > 0] -= times * config[config > 0]
         containers += times
 
-    for config, x in sorted(fractional, key=lambda c: (-c[1], c[0].tobytes())):
+    for key, x in use.items():
+        config = np.frombuffer(key, np.int64)
         used = config > 0
         times = int(min(np.floor(x + 1e-9), (left[used] // config[used]).min()))
         if times > 0:
