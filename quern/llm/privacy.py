@@ -52,13 +52,13 @@ _ID = re.compile(
 )
 _STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Close|Terrace|Drive|Dr|Way|Row|Place|Square|Crescent|Boulevard|Blvd|Walk|Hill|Gardens|Grove|Mews|Parade"
 _CAPITAL = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*"
-_FR = "rue|avenue|chemin|place|boulevard|quai|allée|impasse|cours|route|square|passage"
-_ES = "Calle|Avenida|Avda\\.?|Plaza|Paseo|Camino|Carrera|Ronda|Travesía"
+_FR = "rue|bd|av\\.|avenue|chemin|place|boulevard|quai|allée|impasse|cours|route|square|passage"
+_ES = "Calle|C/|C\\.|Avenida|Avda?\\.?|Pza\\.?|Plaza|Paseo|Camino|Carrera|Ronda|Travesía"
 _DE = "straße|strasse|str\\.|gasse|weg|platz|allee|ufer|damm|ring|steig"
 _ADDRESS = re.compile(
     rf"(?<![\w.,\-/])(?:\d{{1,5}}(?:[-–/]\d{{1,4}})?[A-Za-z]?,?\s(?:{_CAPITAL}\s){{1,3}}(?:{_STREET}|{_STREET.upper()})\b"
     rf"|\d{{1,5}}(?:\s?(?:bis|ter|[A-D]))?,?\s(?:{_FR}|{_FR.title()}|{_FR.upper()})\s(?:(?:de\sla|de\sl['’]|des|du|de|d['’]|DE\sLA|DES|DU|DE)\s?)?{_CAPITAL}(?:\s{_CAPITAL})?"
-    rf"|(?:{_ES}|{_ES.upper()})\s(?:(?:de\slas?|de\slos|del|de)\s)?(?:{_CAPITAL}\s){{0,2}}{_CAPITAL},?\s(?:n\.?º\s?)?\d{{1,5}}[A-Za-z]?\b"
+    rf"|(?:{_ES}|{_ES.upper()})\s?(?:(?:de\slas?|de\slos|del|de)\s)?(?:{_CAPITAL}\s){{0,2}}{_CAPITAL},?\s(?:n\.?º\s?)?\d{{1,5}}[A-Za-z]?\b"
     rf"|(?:{_CAPITAL}[\s-])?[A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ\-]*(?:{_DE}|{_DE.upper()}|Straße|Strasse|Weg|Gasse|Platz|Allee)\s\d{{1,4}}[a-hA-H]?\b)"
 )
 _DE_LEAD = re.compile(r"(?:Am|An|Im|In|Zum|Zur|Auf|Alte|Alter|Neue|Große|Kleine|Lange|Obere|Untere)\b")

@@ -15,7 +15,7 @@ CASES = [
     ("[2026-03-18 17:32:28] build 4.44.269, Doc ids 128-256, Run 20251057-75120, pubtime=1771133069, Ticket INC-90852", []),
     ("SSN 926-70-7528, Tax ID 47.559.015-K. passport no. KE7106961, personal no: 858205-1779, national ID 00 973 211 760", [("id_number", p) for p in ("926-70-7528", "47.559.015-K", "KE7106961", "858205-1779", "00 973 211 760")]),
     ("kept at 84 Saffron Street (rear), 12B ORCHARD COURT; An 6 Way merge beats a 10 Lane scan on row 5.", [("address", "84 Saffron Street"), ("address", "12B ORCHARD COURT")]),
-    ("Haus Erlengasse 75 in X. au 69 avenue des Trois Hérons à Y. en Calle Molino Azul 64, Z", [("address", "Erlengasse 75"), ("address", "69 avenue des Trois Hérons"), ("address", "Calle Molino Azul 64")]),
+    ("Haus Erlengasse 75 in X. au 69 avenue des Trois Hérons à Y. en Calle Molino Azul 64, Z. C/ Brezo 44, Y", [("address", "Erlengasse 75"), ("address", "69 avenue des Trois Hérons"), ("address", "Calle Molino Azul 64"), ("address", "C/ Brezo 44")]),
     ("Mr Bramal F. Brennani and Ms Kestor LINDARD; Duskwick, Fennira. P. Jarvmere; Lumet Hollomere-Cropard", [("name", n) for n in ("Bramal F. Brennani", "Kestor LINDARD", "Duskwick, Fennira", "P. Jarvmere", "Lumet Hollomere-Cropard")]),
     ("Unlisted: Elden Cropwick. Lone: The Duskholt heuristic is older than the Bramal codec.", [("name", "Elden Cropwick")]),
     ("​Tax​ ID 47.55​9.015-6", [("id_number", "47.55​9.015-6")]),
