@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import analysis, scoring
 from quern.operators.chunks import number_rows
-from quern.runtime import cut
+from quern.runtime import cut, spread
 from quern.schema import Field, Schema
 
 
@@ -32,14 +32,15 @@ def tokens(docs: DataFrame, schema: Schema, key: str = "doc_id", document_positi
     fields come from one scan of ``docs``.
     """
     fields = schema.indexed()
-    arrays = docs.select(F.col(key), *[_words(f, schema).alias(f"_w{i}") for i, f in enumerate(fields)])
+    needed = [s for f in fields for s in (f.sources if f.type == "combined" else (f.name,))]
+    arrays = spread(docs.select(*dict.fromkeys([key, *needed]))).select(F.col(key), *[_words(f, schema).alias(f"_w{i}") for i, f in enumerate(fields)])
     base, parts = F.lit(0), []
     for i, f in enumerate(fields):
-        parts.append(F.struct(F.lit(f.name).alias("field"), F.lit(f.analysed).alias("analysed"), F.col(f"_w{i}").alias("words"), base.alias("base")))
+        parts.append(F.struct(F.lit(f.name).alias("field"), F.lit(f.analysed).alias("analysed"), F.col(f"_w{i}").alias("words"), F.size(f"_w{i}").alias("dl"), base.alias("base")))
         if document_positions:
             base = base + F.size(f"_w{i}")
     per_field = arrays.select(key, F.explode(F.array(*parts)).alias("f")).select(key, "f.*")
-    each = per_field.select(key, "field", "analysed", "base", F.size("words").alias("dl"), F.posexplode("words").alias("at", "word"))
+    each = per_field.select(key, "field", "analysed", "base", "dl", F.posexplode("words").alias("at", "word"))
     return each.select(key, "field", F.when(F.col("analysed"), analysis.stem(F.col("word"))).otherwise(F.col("word")).alias("term"), (F.col("at") + F.col("base")).alias("pos"), "dl")
 
 

@@ -57,3 +57,16 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a plain scan yields fewer partitions than there are cores.
+
+    That is so only for input smaller than a split per core, such as one small file; a larger input is never shuffled.
+    Plans with exchanges of their own are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
