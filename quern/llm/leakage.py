@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import cut
+from quern.runtime import cut, spread
 
 SPAN = 13
 MASKS = ("1110110010111", "1101011101011")
@@ -181,7 +181,7 @@ def overlaps(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             )
 
     docs = documents.where(documents[doc_id].isNotNull()).select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].cast("string").alias("text"))
-    hits = cut(docs.mapInArrow(read, "doc_id bigint, words string, h array<bigint>, pos array<int>"), "hits")
+    hits = cut(spread(docs).mapInArrow(read, "doc_id bigint, words string, h array<bigint>, pos array<int>"), "hits")
     each = hits.select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("doc_id", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
     aligned = each.join(seeds, "h").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
     pairs = aligned.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))

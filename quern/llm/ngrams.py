@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.runtime import partitions
+from quern.runtime import partitions, spread
 
 
 def _neighbour_prefix(tokens: Sequence[str], n: int) -> list[tuple[tuple[str, ...], int]]:
@@ -48,7 +48,7 @@ def text_suffixes(docs: DataFrame, tokens: str, n: int) -> DataFrame:
             rows = [(*s, *[None] * (n - len(s)), shared) for ts in batch["_tokens"] if ts is not None for s, shared in _neighbour_prefix([t for t in ts if t], n)]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    each = docs.select(F.col(tokens).alias("_tokens")).mapInPandas(suffixes, schema)
+    each = spread(docs.select(F.col(tokens).alias("_tokens"))).mapInPandas(suffixes, schema)
     terms = [f"t{i}" for i in range(1, n + 1)]
     extras = [F.count(F.when(F.col("shared") >= i, 1)).alias(f"extra{i}") for i in range(1, n + 1)]
     return each.groupBy(*terms).agg(F.count(F.lit(1)).alias("occurrences"), *extras)

@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import cut
+from quern.runtime import cut, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-STEPS, RATE = 300, 2.0
+STEPS, RATE = 200, 2.0
 CUTS = (1.0, 0.95, 0.85, 0.7, 0.5, 0.25, 0.0)  # of the program's steps
 # The pre-tokenization pattern that belongs to the byte-level vocabulary files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -188,7 +188,7 @@ def sizes(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: str
             )
 
     plain = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
-    return plain.mapInArrow(run, "id bigint, tokens bigint, full bigint, rest bigint, at bigint, full_at bigint, task bigint")
+    return spread(plain).mapInArrow(run, "id bigint, tokens bigint, full bigint, rest bigint, at bigint, full_at bigint, task bigint")
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, steps: int = STEPS) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import cut
+from quern.runtime import cut, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 KEY = "quern"
@@ -193,7 +193,7 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: st
             yield pd.DataFrame(rows, columns=["id", "kind", "start_pos", "end_pos", "mention", "entity"])
 
     plain = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
-    out = plain.mapInPandas(run, "id bigint, kind string, start_pos int, end_pos int, mention string, entity string").distinct()
+    out = spread(plain).mapInPandas(run, "id bigint, kind string, start_pos int, end_pos int, mention string, entity string").distinct()
     return out.withColumnRenamed("id", doc_id)
 
 
