@@ -2,11 +2,14 @@
 
 Items are sized in tokens. Their lengths form a histogram of at most ``capacity`` entries, however many items there are;
 everything up to the assignment itself works on it. A configuration is a multiset of lengths that fits a container. The
-linear program, to cover every length's count by the fewest configurations, is solved by multiplicative weights: each
-length has a weight that grows while its coverage lags, a knapsack dynamic program finds the configuration of most weight,
-and that configuration is used a step further. Rounding down leaves a remainder, which is filled greedily, the largest
-length that fits first, each pattern as often as the counts allow. The items of one length are interchangeable: they are
-numbered by exact offsets, and ranges of numbers are mapped to containers.
+linear program, to cover every length's count by the fewest configurations, is solved by multiplicative weights: a
+length's weight is itself, the dual of a perfect filling, times a factor that is larger for large lengths and falls with
+every use, so that it grows against the others where coverage lags. A knapsack dynamic program over a part of the lengths, half of them those that lag
+most, finds the configuration of most weight that the items still there can fill ``grain`` times, and it is used so often.
+Where no such configuration fills a container, the grain is halved. Grains are whole numbers, so rounding the solution down
+loses nothing. The program ends when it covers ``COVER`` of all tokens, before the lengths left are too few to fill well;
+the rest is filled greedily, the largest length that fits first, each pattern as often as the counts allow. The items of
+one length are interchangeable: they are numbered by exact offsets, and ranges of numbers are mapped to containers.
 
 An item longer than a container fills whole containers by itself; only what remains of it is packed with others.
 """
@@ -28,8 +31,11 @@ from quern.runtime import cut, spread
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-STEPS, RATE = 200, 2.0
-CUTS = (1.0, 0.95, 0.85, 0.7, 0.5, 0.25, 0.0)  # of the program's steps
+STEPS, RATE = 400, 0.004
+LARGE = 2.0  # how much harder to place the largest lengths count at the start, against a lag in coverage
+COVER = 0.92  # of all tokens lie in the program's containers
+PRICED = 96  # lengths that one knapsack chooses from
+SLACK = 1e-3  # of a container that a configuration may leave free before the grain is halved
 # The pre-tokenization pattern that belongs to the byte-level vocabulary files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,55 +50,83 @@ def token_counter(path: str):
     return lambda text: len(encoding.encode_ordinary(text))
 
 
-def knapsack(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The multiset of lengths 1..capacity (``weights`` by length, entry 0 unused) of most weight that fits, and its weight."""
+def knapsack(lengths: np.ndarray, limits: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How often to take each of ``lengths`` (ascending, at most ``limits`` times) for the most worth that fits, and that worth.
+
+    Of equal choices the one with the larger lengths.
+    """
     best = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        tried = best[room - 1 :: -1] + weights[1 : room + 1]
-        pick = int(tried.argmax())
-        if tried[pick] > best[room - 1]:
-            best[room], last[room] = tried[pick], pick + 1
-        else:
-            best[room] = best[room - 1]
-    config = np.zeros(capacity + 1, np.int64)
-    room = capacity
-    while room > 0:
-        if last[room]:
-            config[last[room]] += 1
-            room -= last[room]
-        else:
-            room -= 1
+    pieces, taken = [], []
+    for i, (length, limit, value) in enumerate(zip(lengths.tolist(), limits.tolist(), worth.tolist(), strict=True)):
+        limit, k = min(limit, capacity // length), 1
+        while limit > 0:  # 1, 2, 4 .. copies and the remainder make every number up to the limit
+            k = min(k, limit)
+            tried = best[: capacity + 1 - k * length] + k * value
+            better = tried >= best[k * length :]
+            best[k * length :] = np.where(better, tried, best[k * length :])
+            pieces.append((i, k))
+            taken.append(better)
+            limit -= k
+            k *= 2
+    config, room = np.zeros(len(lengths), np.int64), capacity
+    for (i, k), better in zip(reversed(pieces), reversed(taken), strict=True):
+        size = k * int(lengths[i])
+        if room >= size and better[room - size]:
+            config[i] += k
+            room -= size
     return config, float(best[capacity])
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """The steps taken, each a configuration and how often it is used, and a lower bound on the number of containers.
+def dual_bound(counts: np.ndarray, capacity: int) -> float:
+    """A lower bound on the containers: the largest value of some feasible duals of the program.
 
-    ``counts`` by length, entry 0 unused. A length's weight is itself, the dual of a perfect filling, times a factor that
-    grows where the length's coverage lags behind the mean. A step uses 1 / ``steps`` of the containers that are needed at
-    least, or as many as the configuration's lengths last for.
+    A dual gives each length a price such that no configuration costs more than 1. Tried are length / (fullest possible
+    container), and for each t the prices 1 above capacity - t, length / capacity from t on and 0 below.
     """
-    n = counts.astype(float)
-    n[0] = 0
-    have = n > 0
-    lengths = np.arange(capacity + 1)
-    bound = float((lengths * n).sum() / capacity)
-    taken: list[tuple[np.ndarray, float]] = []
-    covered = np.zeros(capacity + 1)
-    for _ in range(2 * steps):
-        left = n - covered
-        open_ = have & (left >= 1 - 1e-9)
-        if not open_.any():
+    n = counts.astype(np.int64)
+    lengths = np.flatnonzero(n[1:]) + 1
+    if not len(lengths):
+        return 0.0
+    fullest = knapsack(lengths, n[lengths], lengths.astype(float), capacity)[1]
+    count, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    t = np.arange(1, capacity // 2 + 1)
+    stepped = (count[-1] - count[capacity - t]) + (tokens[capacity - t] - tokens[t - 1]) / capacity
+    return float(max(tokens[-1] / fullest, stepped.max()))
+
+
+def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The program's solution: configurations as (lengths, copies of each, how often), which never cover more than ``counts``.
+
+    ``counts`` by length, entry 0 unused. The first grain is 1 / ``steps`` of the containers needed at least; there are at
+    most ten times as many steps.
+    """
+    lengths = np.flatnonzero(counts[1:]) + 1
+    n = counts[lengths].astype(np.int64)
+    total = int((lengths * n).sum())
+    left, covered = n.copy(), 0
+    grain = max(1, int(total / capacity / steps))
+    rng = np.random.default_rng(0)  # breaks ties between lengths that lag alike
+    taken: list[tuple[np.ndarray, np.ndarray, int]] = []
+    while covered < COVER * total and len(taken) < 10 * steps:
+        open_ = np.flatnonzero(left >= grain)
+        config = np.zeros(0, np.int64)
+        if len(open_):
+            share = 1 - left[open_] / n[open_]
+            order = np.lexsort((rng.random(len(open_)), np.round(share, 3)))
+            pick = np.sort(open_[np.concatenate((order[: PRICED // 2], rng.permutation(order[PRICED // 2 :])[: PRICED // 2]))])
+            used = 1 - left[pick] / n[pick]
+            config, _ = knapsack(lengths[pick], left[pick] // grain, lengths[pick] * np.exp(rate * (used.mean() - used + LARGE * lengths[pick] / capacity)), capacity)
+        filled = int((config * lengths[pick]).sum()) if len(open_) else 0
+        if filled < (1 - SLACK) * capacity and grain > 1:
+            grain //= 2
+            continue
+        if not filled:
             break
-        share = np.where(have, covered / np.maximum(n, 1), 0.0)
-        weights = np.where(open_, lengths * np.exp(rate * (share[have].mean() - share)), 0.0)
-        config = np.minimum(knapsack(weights, capacity)[0], np.floor(left + 1e-9)).astype(np.int64)
-        used = config > 0
-        times = min(max(1.0, bound / steps), float((left[used] / config[used]).min()))
-        taken.append((config, times))
-        covered[used] += times * config[used]
-    return taken, bound
+        left[pick] -= grain * config
+        covered += grain * filled
+        some = config > 0
+        taken.append((lengths[pick[some]], config[some], grain))
+    return taken
 
 
 @dataclass
@@ -104,61 +138,42 @@ class Plan:
     base: np.ndarray
     per: np.ndarray
     containers: int
+    by_program: int  # the first so many containers
     bound: float
 
 
 def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
-    """Every item of the histogram in a container; the number of runs depends on lengths, not on items.
-
-    The program's last steps combine what is left and fill badly, so it is cut at several points, each time the rest is
-    filled greedily, and the plan of fewest containers holds; of equals the one with more of the program.
-    """
-    taken, bound = solve(counts, capacity, steps)
-    plans = [_rounded(counts, capacity, taken[: round(len(taken) * part)], bound) for part in CUTS]
-    return min(plans, key=lambda p: p.containers)
-
-
-def _rounded(counts: np.ndarray, capacity: int, taken: list[tuple[np.ndarray, float]], bound: float) -> Plan:
+    """Every item of the histogram in a container; the number of runs depends on lengths, not on items."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    use: dict[bytes, float] = {}
-    for config, times in taken:
-        use[config.tobytes()] = use.get(config.tobytes(), 0.0) + times
     runs: list[tuple[int, int, int, int]] = []
     placed = np.zeros(capacity + 1, np.int64)
     containers = 0
 
-    def place(config: np.ndarray, times: int) -> None:
+    def place(lengths: np.ndarray, copies: np.ndarray, times: int) -> None:
         nonlocal containers
-        for length in np.flatnonzero(config):
-            runs.append((int(length), int(placed[length]), containers, int(config[length])))
-            placed[length] += times * config[length]
-        left[config > 0] -= times * config[config > 0]
+        runs.extend((int(l), int(placed[l]), containers, int(c)) for l, c in zip(lengths, copies, strict=True))
+        placed[lengths] += times * copies
+        left[lengths] -= times * copies
         containers += times
 
-    for key, x in use.items():
-        config = np.frombuffer(key, np.int64)
-        used = config > 0
-        times = int(min(np.floor(x + 1e-9), (left[used] // config[used]).min()))
-        if times > 0:
-            place(config, times)
+    for config in solve(left, capacity, steps):
+        place(*config)
+    by_program = containers
     while left.any():
         config, room = np.zeros(capacity + 1, np.int64), capacity
         lengths = np.flatnonzero(left)
-        while room > 0:
-            fit = np.searchsorted(lengths, room, "right") - 1
-            while fit >= 0 and config[lengths[fit]] >= left[lengths[fit]]:
+        fit = len(lengths)
+        while fit and room >= lengths[0]:
+            fit = int(np.searchsorted(lengths[:fit], room, "right"))
+            if fit:
                 fit -= 1
-            if fit < 0:
-                break
-            length = lengths[fit]
-            k = min(room // length, left[length] - config[length])
-            config[length] += k
-            room -= k * length
-        used = config > 0
-        place(config, int((left[used] // config[used]).min()))
+                config[lengths[fit]] = min(room // lengths[fit], left[lengths[fit]])
+                room -= int(config[lengths[fit]] * lengths[fit])
+        some = np.flatnonzero(config)
+        place(some, config[some], int((left[some] // config[some]).min()))
     table = np.array(sorted(runs), np.int64).reshape(-1, 4)
-    return Plan(*table.T, containers, bound)
+    return Plan(*table.T, containers, by_program, dual_bound(counts, capacity))
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: str) -> DataFrame:
