@@ -32,10 +32,12 @@ from quern.runtime import cut, spread
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 STEPS, RATE = 400, 0.004
-LARGE = 2.0  # how much harder to place the largest lengths count at the start, against a lag in coverage
+# How much dearer per token the largest lengths are at the start, and how much of a container a configuration may leave
+# free before the grain is halved. The second setting is tried where the first ends over GOOD times the bound.
+SETTINGS = ((0.008, 1e-3), (2.0, 0.25))
+GOOD = 1.005
 COVER = 0.92  # of all tokens lie in the program's containers
 PRICED = 96  # lengths that one knapsack chooses from
-SLACK = 1e-3  # of a container that a configuration may leave free before the grain is halved
 # The pre-tokenization pattern that belongs to the byte-level vocabulary files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,7 +96,7 @@ def dual_bound(counts: np.ndarray, capacity: int) -> float:
     return float(max(tokens[-1] / fullest, stepped.max()))
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, dearer: float = SETTINGS[0][0], slack: float = SETTINGS[0][1], rate: float = RATE) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """The program's solution: configurations as (lengths, copies of each, how often), which never cover more than ``counts``.
 
     ``counts`` by length, entry 0 unused. The first grain is 1 / ``steps`` of the containers needed at least; there are at
@@ -115,9 +117,9 @@ def solve(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = R
             order = np.lexsort((rng.random(len(open_)), np.round(share, 3)))
             pick = np.sort(open_[np.concatenate((order[: PRICED // 2], rng.permutation(order[PRICED // 2 :])[: PRICED // 2]))])
             used = 1 - left[pick] / n[pick]
-            config, _ = knapsack(lengths[pick], left[pick] // grain, lengths[pick] * np.exp(rate * (used.mean() - used + LARGE * lengths[pick] / capacity)), capacity)
+            config, _ = knapsack(lengths[pick], left[pick] // grain, lengths[pick] * np.exp(rate * (used.mean() - used) + dearer * lengths[pick] / capacity), capacity)
         filled = int((config * lengths[pick]).sum()) if len(open_) else 0
-        if filled < (1 - SLACK) * capacity and grain > 1:
+        if filled < (1 - slack) * capacity and grain > 1:
             grain //= 2
             continue
         if not filled:
@@ -144,6 +146,17 @@ class Plan:
 
 def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
     """Every item of the histogram in a container; the number of runs depends on lengths, not on items."""
+    bound = dual_bound(counts, capacity)
+    best: Plan | None = None
+    for dearer, slack in SETTINGS:
+        if best is None or best.containers > GOOD * bound + 1:
+            tried = _filled(counts, capacity, solve(counts, capacity, steps, dearer, slack), bound)
+            best = tried if best is None or tried.containers < best.containers else best
+    return best
+
+
+def _filled(counts: np.ndarray, capacity: int, solution: list[tuple[np.ndarray, np.ndarray, int]], bound: float) -> Plan:
+    """The solution's containers, then the rest."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     runs: list[tuple[int, int, int, int]] = []
@@ -157,7 +170,7 @@ def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
         left[lengths] -= times * copies
         containers += times
 
-    for config in solve(left, capacity, steps):
+    for config in solution:
         place(*config)
     by_program = containers
     while left.any():
@@ -173,7 +186,7 @@ def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
         some = np.flatnonzero(config)
         place(some, config[some], int((left[some] // config[some]).min()))
     table = np.array(sorted(runs), np.int64).reshape(-1, 4)
-    return Plan(*table.T, containers, by_program, dual_bound(counts, capacity))
+    return Plan(*table.T, containers, by_program, bound)
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: str) -> DataFrame:
