@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query()
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.SegmentIndex(table(spark, sf, "stored_docs")).add(table(spark, sf, "incoming_docs"))
+    return dedup.SegmentIndex(table(spark, sf, "stored_docs")).feed(table(spark, sf, "incoming_docs"))
 
 
 _SOUND = "postings WHERE term IS NOT NULL AND term <> '' AND field IS NOT NULL"
