@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +20,20 @@ def carry(rows: DataFrame, mapping: DataFrame, new_segment: int) -> DataFrame:
     return moved.select(F.lit(new_segment).alias("segment_id"), F.col("new_id").alias("doc_id"), *[c for c in rows.columns if c not in ("segment_id", "doc_id")])
 
 
-def should_merge(policy: str, segments: int, most: int = 5) -> bool:
-    """``force`` merges always, ``tiered`` when there are more than ``most`` segments."""
-    return policy == "force" or policy == "tiered" and segments > most
-
-
-def groups(total: int, workers: int) -> int:
-    """Into how many groups a fan-in of ``total`` parts is merged first."""
-    return 1 if total <= 8 else min(ceil(sqrt(total)), workers)
+def to_merge(policy: str, sizes: dict[int, int], most: int = 5) -> set[int]:
+    """Which of the segments (number to documents) to merge into one.
+
+    ``force`` takes all. ``tiered`` does nothing up to ``most`` segments; of more it takes the smallest, at least as many as
+    leave ``most``, and on as long as the next is no larger than those taken together.
+    """
+    if policy == "force":
+        return set(sizes)
+    if policy != "tiered" or len(sizes) <= most:
+        return set()
+    order = sorted(sizes, key=lambda s: (sizes[s], s))
+    taken = order[: max(2, len(sizes) - most + 1)]
+    for s in order[len(taken) :]:
+        if sizes[s] > sum(sizes[t] for t in taken):
+            break
+        taken.append(s)
+    return set(taken)

@@ -56,6 +56,11 @@ def field_lengths(docs: DataFrame, schema: Schema, key: str = "doc_id") -> DataF
     return docs.select(key, F.explode(F.array(*parts)).alias("f")).select("f.field", key, "f.dl").where("dl > 0")
 
 
+def summed_lengths(posts: DataFrame) -> DataFrame:
+    """(``field``, ``sum_len``): a field's words are the occurrences in its postings, so texts need no second look."""
+    return posts.groupBy("field").agg(F.sum("tf").alias("sum_len"))
+
+
 def field_stats(lengths: DataFrame, n: Column) -> DataFrame:
     """(``field``, ``n_docs``, ``sum_len``, ``avgdl``); the average is over all documents, with the field or without."""
     sums = lengths.groupBy("field").agg(F.sum("dl").alias("sum_len"))
@@ -108,8 +113,8 @@ def build(docs: DataFrame, schema: Schema, positions: bool = False, written: boo
     posts = postings(tokens(docs, schema), positions=positions)
     if written:
         posts = cut(posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), "postings")
-    lengths = field_lengths(docs, schema)
-    stats = field_stats(lengths, docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar())
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    stats = summed_lengths(posts).select("field", n.alias("n_docs"), "sum_len", (F.col("sum_len").cast("double") / n).alias("avgdl"))
     if written:
         stats = cut(stats.coalesce(1), "stats")
     dictionary = term_dict(posts, stats)

@@ -1,15 +1,19 @@
 """Segments on shared storage: Parquet tables and a manifest that publishes them.
 
 A segment is written completely and then named in a new manifest version, one small file; readers take the newest version
-and never see half a segment. Tombstones are appended the same way. Merging writes the new segment, publishes a version
-that swaps it for its sources, and only then removes these.
+and never see half a segment. Tombstones are appended the same way. A writer creates exactly the version after the one it
+has read, by a create that fails where the file exists; if another writer was first, it reads again, applies its change to
+what it finds and tries the next number. Merging publishes a version that swaps segments for their union; the files of the
+sources stay for readers of older versions until ``vacuum`` removes what no version of the last ``retain`` seconds names.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +46,45 @@ class Store:
         versions = self._versions()
         if not versions:
             return {"segments": [], "tombstones": [], "next_id": 0, "schema": None}
-        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest/{versions[-1] if version is None else version:012d}.json").first()[0]
-        return json.loads(text)
-
-    def _publish(self, manifest: dict) -> None:
-        """Write the next version under a name nobody reads, then rename it, which fails if another writer was first."""
-        manifest["schema"] = self.schema.to_json()
-        manifest["published_at"] = time.time()
-        number = (self._versions() or [-1])[-1] + 1
-        draft, final = self._Path(f"{self.path}/manifest/.{uuid.uuid4().hex}"), self._Path(f"{self.path}/manifest/{number:012d}.json")
+        return self._load(versions[-1] if version is None else version)
+
+    def _load(self, version: int) -> dict:
+        text = self.spark.read.option("wholetext", True).text(f"{self.path}/manifest/{version:012d}.json").first()[0]
+        return json.loads(text) | {"version": version}
+
+    def _publish(self, change: Callable[[dict], dict | None]) -> dict | None:
+        """Apply ``change`` to the newest manifest and publish the result as the version after it; None if it declines.
+
+        ``change`` is called again with a newer manifest whenever another writer was first.
+        """
+        while True:
+            manifest = self.manifest()
+            after = change(manifest)
+            if after is None:
+                return None
+            number = manifest.get("version", -1) + 1
+            text = json.dumps({k: v for k, v in after.items() if k != "version"} | {"schema": self.schema.to_json(), "published_at": time.time()})
+            if self._create(f"{self.path}/manifest/{number:012d}.json", text):
+                return after | {"version": number}
+
+    def _create(self, path: str, text: str) -> bool:
+        """Create a file with its whole text; False where it exists.
+
+        On a local file system, where rename may overwrite, the draft is linked to its name; elsewhere rename fails.
+        """
+        final, draft = self._Path(path), self._Path(f"{self.path}/manifest/.{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            if self._fs.getUri().getScheme() != "file":
+                return not self._fs.exists(final) and bool(self._fs.rename(draft, final))
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
             self._fs.delete(draft, False)
-            raise RuntimeError("another writer published first; read the manifest again and retry")
 
     def segment_ids(self) -> list[int]:
         return [s["id"] for s in self.manifest()["segments"]]
@@ -66,21 +94,25 @@ class Store:
 
         ``batches`` names the stream batches the segment holds.
         """
-        manifest = self.manifest()
-        number, where = manifest["next_id"], f"{self.path}/segments/{manifest['next_id']}-{uuid.uuid4().hex[:8]}"
+        where = f"{self.path}/segments/{uuid.uuid4().hex}"
         docs.write.parquet(f"{where}/docs")
-        written = self.spark.read.parquet(f"{where}/docs")
-        count = written.count()
+        count = self._index(where)
         if not count:
             self._fs.delete(self._Path(where), True)
             return None
+        return self._publish(lambda m: _with_segment(m, where, count, batches or []))["next_id"] - 1
+
+    def _index(self, where: str) -> int:
+        """Write the postings and lengths of the documents in ``where``; their number. Texts are analysed once."""
+        written = self.spark.read.parquet(f"{where}/docs")
         posts = indexing.postings(indexing.tokens(written, self.schema), positions=any(f.index == "freqs_positions" for f in self.schema.indexed()))
         posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{where}/postings")
-        indexing.field_lengths(written, self.schema).groupBy("field").agg(F.sum("dl").alias("sum_len")).coalesce(1).write.parquet(f"{where}/lengths")
-        manifest["segments"].append({"id": number, "at": where, "doc_count": count, "batches": batches or [], "state": "committed", "created_at": time.time()})
-        manifest["next_id"] = number + 1
-        self._publish(manifest)
-        return number
+        self._lengths(where)
+        return written.count()
+
+    def _lengths(self, where: str) -> None:
+        kept = self.spark.read.parquet(f"{where}/postings")
+        indexing.summed_lengths(kept).coalesce(1).write.parquet(f"{where}/lengths")
 
     def delete(self, ids: DataFrame) -> int:
         """Mark documents (segment_id, doc_id) dead; the number of living ones among them."""
@@ -90,9 +122,14 @@ class Store:
         where = f"{self.path}/tombstones/{uuid.uuid4().hex}"
         (alive.join(dead, ["segment_id", "doc_id"], "left_anti") if dead is not None else alive).write.parquet(where)
         count = self.spark.read.parquet(where).count()
-        manifest["tombstones"].append(where)
-        self._publish(manifest)
-        return count
+        named = {s["id"] for s in manifest["segments"]}
+        lost = lambda m: named - {s["id"] for s in m["segments"]}
+        done = self._publish(lambda m: None if lost(m) else {**m, "tombstones": [*m["tombstones"], where]})
+        return count if done else self.delete(self._moved(ids))
+
+    def _moved(self, ids: DataFrame) -> DataFrame:
+        """(segment_id, doc_id) after a merge in the meantime: documents keep their ids and changed the segment."""
+        return ids.select("doc_id").distinct().join(self.docs().select("doc_id", "segment_id"), "doc_id").select("segment_id", "doc_id")
 
     def _union(self, manifest: dict, table: str) -> DataFrame:
         parts = [self.spark.read.parquet(f"{s['at']}/{table}").withColumn("segment_id", F.lit(s["id"])) for s in manifest["segments"]]
@@ -122,42 +159,77 @@ class Store:
         return Index(self.schema, self.docs(manifest), posts, stats, indexing.term_dict(posts, stats), self.tombstones(manifest))
 
     def merge(self, policy: str = "tiered", most: int = 5, renumber: bool = False) -> int | None:
-        """Merge all segments into one where the policy says so: its number, else None. The dead go.
+        """Merge segments into one where the policy says so: its number, else None. The dead among them go.
 
-        Ids are unique in the store and stay; ``renumber`` gives living documents the ids from 1 instead.
+        ``force`` merges all. ``tiered`` takes the smaller segments, where more than ``most`` lie side by side, so that a
+        document is rewritten a logarithmic number of times. Ids are unique in the store and stay; ``renumber`` (all
+        segments only) gives living documents the ids from 1 instead. A merge that finds one of its sources gone or a
+        document of them deleted in the meantime begins again.
         """
         manifest = self.manifest()
-        if not compaction.should_merge(policy, len(manifest["segments"]), most):
+        sizes = {s["id"]: s["doc_count"] for s in manifest["segments"]}
+        chosen = compaction.to_merge(policy, sizes, most)
+        if not chosen:
             return None
-        old, dead = manifest["segments"], self.tombstones(manifest)
-        docs = self.docs(manifest)
+        old = [s for s in manifest["segments"] if s["id"] in chosen]
+        dead, part = self.tombstones(manifest), {**manifest, "segments": old}
+        docs = self.docs(part)
         mapping = compaction.remap(docs, dead if dead is not None else docs.select("segment_id", "doc_id").limit(0))
         if not renumber:
             mapping = mapping.withColumn("new_id", F.col("doc_id"))
-        number = manifest["next_id"]
-        moved = compaction.carry(docs, mapping, number).drop("segment_id")
-        fresh = {**manifest, "tombstones": []}
-        where = f"{self.path}/segments/{number}-{uuid.uuid4().hex[:8]}"
-        moved.write.parquet(f"{where}/docs")
-        compaction.carry(self.postings(manifest), mapping, number).drop("segment_id").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{where}/postings")
-        written = self.spark.read.parquet(f"{where}/docs")
-        indexing.field_lengths(written, self.schema).groupBy("field").agg(F.sum("dl").alias("sum_len")).coalesce(1).write.parquet(f"{where}/lengths")
-        fresh["segments"] = [{"id": number, "at": where, "doc_count": written.count(), "batches": sorted({b for s in old for b in s.get("batches", [])}), "state": "committed", "created_at": time.time()}]
-        fresh["next_id"] = number + 1
-        self._publish(fresh)
-        for s in old:
-            self._fs.delete(self._Path(s["at"]), True)
-        return number
+        where = f"{self.path}/segments/{uuid.uuid4().hex}"
+        compaction.carry(docs, mapping, 0).drop("segment_id").write.parquet(f"{where}/docs")
+        compaction.carry(self.postings(part), mapping, 0).drop("segment_id").repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{where}/postings")
+        self._lengths(where)
+        count, batches = self.spark.read.parquet(f"{where}/docs").count(), sorted({b for s in old for b in s.get("batches", [])})
+
+        def swap(m: dict) -> dict | None:
+            if m["tombstones"] != manifest["tombstones"] or not chosen <= {s["id"] for s in m["segments"]}:
+                return None
+            rest = [s for s in m["segments"] if s["id"] not in chosen]
+            return _with_segment({**m, "segments": rest, "tombstones": m["tombstones"] if rest else []}, where, count, batches)
+
+        done = self._publish(swap)
+        return done["next_id"] - 1 if done else self.merge(policy, most, renumber)
+
+    def vacuum(self, retain: float = 3600.0) -> int:
+        """Remove manifest versions older than ``retain`` seconds but for the newest, and the folders that none left names."""
+        versions = self._versions()
+        kept = [m for m in map(self._load, versions) if m["version"] == versions[-1] or m["published_at"] >= time.time() - retain]
+        named = {s["at"] for m in kept for s in m["segments"]} | {t for m in kept for t in m["tombstones"]}
+        gone = 0
+        for kind in ("segments", "tombstones"):
+            place = self._Path(f"{self.path}/{kind}")
+            for f in self._fs.listStatus(place) if self._fs.exists(place) else []:
+                at = f"{self.path}/{kind}/{f.getPath().getName()}"
+                if at not in named and f.getModificationTime() / 1000 < time.time() - retain:
+                    self._fs.delete(f.getPath(), True)
+                    gone += 1
+        for v in set(versions) - {m["version"] for m in kept}:
+            self._fs.delete(self._Path(f"{self.path}/manifest/{v:012d}.json"), False)
+        return gone
 
     def verify(self) -> DataFrame:
-        """Posting rows that do not follow from the documents, or are missing: (segment_id, field, term, doc_id)."""
+        """Posting rows that do not follow from the documents, or are missing: (segment_id, field, term, doc_id).
+
+        Frequencies, lengths and, where they are kept, positions are compared; the summed lengths of a segment that differ
+        come out with a NULL term and document.
+        """
         manifest = self.manifest()
+        placed = any(f.index == "freqs_positions" for f in self.schema.indexed())
         again = None
         for s in manifest["segments"]:
             docs = self.spark.read.parquet(f"{s['at']}/docs")
-            part = indexing.postings(indexing.tokens(docs, self.schema)).withColumn("segment_id", F.lit(s["id"]))
+            part = indexing.postings(indexing.tokens(docs, self.schema), positions=placed).withColumn("segment_id", F.lit(s["id"]))
             again = part if again is None else again.unionByName(part)
-        kept, columns = self.postings(manifest), ["segment_id", "field", "term", "doc_id", "tf", "dl"]
+        kept, columns = self.postings(manifest), ["segment_id", "field", "term", "doc_id", "tf", "dl", *["positions"] * placed]
         sides = kept.select(*columns, F.lit(1).alias("side")).unionByName(again.select(*columns, F.lit(-1).alias("side")))
-        return sides.groupBy(*columns).agg(F.sum("side").alias("n")).where("n <> 0").select(*columns[:4]).distinct()
+        wrong = sides.groupBy(*columns).agg(F.sum("side").alias("n")).where("n <> 0").select(*columns[:4])
+        sums = kept.groupBy("segment_id", "field").agg(F.sum("tf").alias("true")).join(self._union(manifest, "lengths"), ["segment_id", "field"], "full")
+        stale = sums.where(~F.col("true").eqNullSafe(F.col("sum_len"))).select("segment_id", "field", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("doc_id"))
+        return wrong.union(stale).distinct()
+
 
+def _with_segment(manifest: dict, where: str, count: int, batches: list[int]) -> dict:
+    segment = {"id": manifest["next_id"], "at": where, "doc_count": count, "batches": batches, "state": "committed", "created_at": time.time()}
+    return {**manifest, "segments": [*manifest["segments"], segment], "next_id": manifest["next_id"] + 1}

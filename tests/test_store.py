@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from quern.operators import compaction
 from quern.plans.planner import search
@@ -53,7 +54,48 @@ def test_remap_is_dense(spark):
     rows = spark.createDataFrame([(s, d) for s in (2, 1) for d in range(5)], "segment_id int, doc_id bigint")
     got = compaction.remap(rows, rows.where("doc_id = 3")).orderBy("new_id").collect()
     assert [(r.segment_id, r.doc_id, r.new_id) for r in got] == [(s, d, 4 * (s - 1) + k + 1) for s in (1, 2) for k, d in enumerate((0, 1, 2, 4))]
-    assert (compaction.groups(8, 4), compaction.groups(20, 4), compaction.groups(20, 9)) == (1, 4, 5)
+    assert compaction.to_merge("force", {1: 5, 2: 7}) == {1, 2} and compaction.to_merge("tiered", {1: 5, 2: 7}) == set()
+    assert compaction.to_merge("tiered", {0: 900, 1: 5, 2: 7, 3: 20}, 3) == {1, 2} and compaction.to_merge("tiered", {0: 11, 1: 5, 2: 7, 3: 20}, 3) == {0, 1, 2, 3}
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Four writers add, delete and publish together; every segment and tombstone is there."""
+    store = Store(spark, f"file://{tmp_path}/store", S5)
+    store.add(docs(spark, range(1, 11)))
+
+    def write(k):
+        mine = Store(spark, f"file://{tmp_path}/store", S5)
+        number = mine.add(docs(spark, range(100 * k, 100 * k + 10)))
+        mine.delete(spark.createDataFrame([(0, k)], "segment_id int, doc_id bigint"))
+        return number
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(write, range(1, 5)))
+    assert sorted([0, *numbers]) == store.segment_ids() == list(range(5))
+    assert hits(store.snapshot(), "python") == sorted([*range(5, 11), *(100 * k + i for k in range(1, 5) for i in range(10))])
+
+
+def test_a_merge_leaves_readers_and_the_newly_dead_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", S5)
+    for i in range(4):
+        store.add(docs(spark, range(10 * i, 10 * i + 10)))
+    before = store.snapshot()
+    real, calls = store._lengths, []
+
+    def late(where):  # another writer deletes and adds while the merge runs
+        real(where)
+        if not calls:
+            calls.append(1)
+            other = Store(spark, f"file://{tmp_path}/store")
+            other.delete(spark.createDataFrame([(1, 15)], "segment_id int, doc_id bigint"))
+            other.add(docs(spark, [77]))
+
+    store._lengths = late
+    assert store.merge("force") is not None
+    want = [i for i in range(40) if i != 15] + [77]
+    assert hits(store.snapshot(), "python") == want and len(store.segment_ids()) == 1
+    assert hits(before, "python") == list(range(40)) and store.vacuum() == 0
+    assert store.vacuum(retain=-1) > 0 and hits(store.snapshot(), "python") == want and store.verify().count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
