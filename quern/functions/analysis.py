@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +66,12 @@ def sql_kept_words(text: str) -> str:
 
 
 def token_offsets(words: Column) -> Column:
-    """Start of each word where words are one separator apart; approximate when separators repeat."""
-    return F.transform(words, lambda _, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1))
+    """Start of each word where words are one separator apart; approximate when separators repeat. NULL for NULL."""
+
+    def starts(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: None if ws is None else np.cumsum([0, *(len(w) + 1 for w in ws)])[:-1].astype(np.int32))
+
+    return F.pandas_udf(starts, "array<int>")(words)
 
 
 def highlight(text: Column, terms: list[str], before: str = "[", after: str = "]") -> Column:

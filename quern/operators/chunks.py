@@ -20,9 +20,11 @@ CHUNK_ROWS = 100_000
 _WITHIN = (1 << 33) - 1  # the low bits of monotonically_increasing_id: the row's place in its partition
 
 
-def number_rows(df: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_ROWS, parts: bool = False) -> DataFrame:
     """``df`` plus ``_row`` (0-based place in the order of ``order``) and ``_chunk`` = ``_row`` div ``chunk_rows``.
 
+    With ``parts`` also ``_part``, the number of the range that the row lies in.
+
     Rows that agree in all of ``order`` share a range partition; collapse copies beforehand (``key_states`` does).
     NULLs come first. An empty input gives an empty result. The names ``_row``, ``_chunk``, ``_part`` and ``_at`` are taken.
     """
@@ -38,7 +40,7 @@ def number_rows(df: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_ROW
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     numbered = runs.join(F.broadcast(offsets), "_part").withColumn("_row", F.col("_offset") + F.col("_at"))
-    return numbered.withColumn("_chunk", F.expr(f"_row div {int(chunk_rows)}")).select(*df.columns, "_row", "_chunk")
+    return numbered.withColumn("_chunk", F.expr(f"_row div {int(chunk_rows)}")).select(*df.columns, "_row", "_chunk", *["_part"] * parts)
 
 
 def key_states(df: DataFrame, keys: Sequence[str], item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -105,3 +107,19 @@ def wrong_statistics(postings: DataFrame, term_dict: DataFrame, segment_stats: D
         .select("segment_id", F.lit("*").alias("field"), F.col("max_pl_term").alias("term"))
     )
     return terms.unionByName(segments).distinct()
+
+
+def place_in_key(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """``df`` plus ``_place``, the row's 0-based place in its key by ``item``, no key being brought into one task.
+
+    A key's first row is known inside each range of the order; only keys that cross a border of ranges need more, and
+    there are no more of them than borders. NULL keys form a key of their own.
+    """
+    rows = number_rows(df, [*keys, item], parts=True)
+    here = F.min("_row").over(Window.partitionBy("_part", *keys))
+    states = rows.groupBy("_part", *keys).agg(F.min("_row").alias("_first"))
+    crossing = states.groupBy(*keys).agg(F.min("_first").alias("_begin"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    named = crossing.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], "_begin")
+    same = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    placed = rows.withColumn("_first", here).join(F.broadcast(named), same, "left")  # at most a row per border
+    return placed.withColumn("_place", F.col("_row") - F.coalesce("_begin", "_first")).select(*df.columns, "_place")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import analysis, scoring
-from quern.operators.chunks import number_rows
+from quern.operators.chunks import place_in_key
 from quern.runtime import cut, spread
 from quern.schema import Field, Schema
 
@@ -17,12 +17,18 @@ def _words(field: Field, schema: Schema) -> Column:
     """The array of a field's words before stemming (analysed fields) or of its verbatim values."""
     if field.type == "combined":
         single = [s for s in field.sources if (d := schema.find(s)) is None or not d.multi]
-        return F.concat(*[analysis.kept_words(F.col(s)) for s in single]) if single else F.array().cast("array<string>")
+        part = analysis.kept_words if field.analysed else _value
+        return F.concat(*[part(F.col(s)) for s in single]) if single else F.array().cast("array<string>")
     value = F.col(field.name)
     if field.multi:
         values = F.filter(F.coalesce(value, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
         return F.flatten(F.transform(values, analysis.kept_words)) if field.analysed else values
-    return analysis.kept_words(value) if field.analysed else F.when(value.isNotNull() & (value != ""), F.array(value)).otherwise(F.array().cast("array<string>"))
+    return analysis.kept_words(value) if field.analysed else _value(value)
+
+
+def _value(value: Column) -> Column:
+    """A verbatim value as an array of one; empty for NULL and the empty string."""
+    return F.when(value.isNotNull() & (value != ""), F.array(value)).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(docs: DataFrame, schema: Schema, key: str = "doc_id", document_positions: bool = False) -> DataFrame:
@@ -77,11 +83,9 @@ def term_dict(posts: DataFrame, stats: DataFrame) -> DataFrame:
 def blocked(posts: DataFrame, size: int = 128, key: str = "doc_id") -> DataFrame:
     """``posts`` plus ``i`` (0-based place in its list, by document) and ``block`` = i div ``size``.
 
-    Places follow from exact row numbers over all lists, so a long list is spread over many tasks.
+    Places follow from exact row numbers over all lists, so a long list is spread over many tasks and stays so.
     """
-    rows = number_rows(posts, ["field", "term", key])
-    first = rows.groupBy("field", "term").agg(F.min("_row").alias("_first"))
-    at = rows.join(first, ["field", "term"]).withColumn("i", (F.col("_row") - F.col("_first")).cast("int"))
+    at = place_in_key(posts, ["field", "term"], key).withColumn("i", F.col("_place").cast("int"))
     return at.withColumn("block", F.expr(f"cast(i div {int(size)} as int)")).select(*posts.columns, "i", "block")
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
-from quern.operators import chunks, compaction, indexing, stats
+from quern.operators import chunks, compaction, indexing, inspect, stats
 from quern.operators.indexing import Index
 from quern.plans import planner
 from quern.plans.planner import NumericFilter, search
@@ -17,6 +18,7 @@ from quern.plans.query import AND, MUST, MUST_NOT, OR, SHOULD, Bool, Term
 from quern.runtime import shared_dir
 from quern.schema import Field, Schema
 from quern.sources import jsonl
+from quern.sources.registry import Readers
 from quern.sources.store import Store
 from quern.streaming.ingest import Ingest
 
@@ -372,6 +374,12 @@ def skip_find(spark: SparkSession, sf: str) -> DataFrame:
     return stats.skip_find(indexing.block_bounds(i.postings, i.stats), 500).select("term", "block")
 
 
+@query(_BODY_SQL + """, k AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS i FROM p)
+SELECT term, CAST(i AS INT) AS i, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, i // 128 ORDER BY i), 0) AS delta FROM k""")
+def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.deltas(_index(spark, sf, "body").postings).select("term", "i", "delta")
+
+
 @query(_BODY_SQL + "SELECT term, doc_id FROM p")
 def delta_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     return stats.undelta(stats.deltas(_index(spark, sf, "body").postings)).select("term", "doc_id")
@@ -386,14 +394,87 @@ def position_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(_NEWS_SQL + ", w AS (SELECT doc_id, max(dl) AS base FROM t WHERE field = 'title' GROUP BY 1) SELECT t.doc_id, count(*) AS tf, string_agg(pos + CASE WHEN field = 'title' THEN 0 ELSE coalesce(base, 0) END, ',' ORDER BY pos + CASE WHEN field = 'title' THEN 0 ELSE coalesce(base, 0) END) AS positions FROM t LEFT JOIN w USING (doc_id) WHERE term = 'index' AND field IN ('title', 'body') GROUP BY 1")
 def position_merge_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Positions run on from title to body."""
-    mine = indexing.tokens(_news_docs(spark, sf), NEWS, document_positions=True).where("term = 'index' and field in ('title', 'body')")
-    merged = mine.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("p"))
-    return merged.select("doc_id", "tf", F.concat_ws(",", F.col("p").cast("array<string>")).alias("positions"))
+    merged = inspect.merged_positions(indexing.tokens(_news_docs(spark, sf), NEWS, document_positions=True), "index", ["title", "body"])
+    return merged.select("doc_id", "tf", F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
 
 
 @query(_BODY_SQL + "SELECT doc_id, tf FROM p WHERE term = 'index' AND doc_id >= 400")
 def posting_range_seek(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf, "body").postings.where("field = 'body' and term = 'index' and doc_id >= 400").select("doc_id", "tf")
+    return inspect.read_postings(_index(spark, sf, "body"), "index", "body", since=400).select("doc_id", "tf")
+
+
+@query(_NEWS_SQL + "SELECT doc_id FROM p WHERE term = 'index' AND field = (SELECT CASE WHEN count(*) FILTER (field = 'title') > 0 THEN 'title' ELSE 'body' END FROM p WHERE term = 'index')")
+def posting_full_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A bare term is read in the first field that has it."""
+    return inspect.read_postings(_index(spark, sf, "news"), "index").select("doc_id")
+
+
+@query(_NEWS_SQL + "SELECT field, term, df, ttf FROM v WHERE term = 'index'")
+def term_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return inspect.lookup(_index(spark, sf, "news").dictionary, "index").select("field", "term", "df", "ttf")
+
+
+@query(_NEWS_SQL + "SELECT field, term, df FROM v ORDER BY field, term LIMIT 40")
+def first_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return inspect.first_terms(_index(spark, sf, "news").dictionary, 40).select("field", "term", "df")
+
+
+@query(_NEWS_SQL + "SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS entries FROM v GROUP BY 1")
+def term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return inspect.term_counts(_index(spark, sf, "news").dictionary)
+
+
+@query(_NEWS_SQL + "SELECT field, round(sum(s), 6) AS score FROM b WHERE doc_id = (SELECT min(doc_id) FROM p WHERE term = 'index' AND field = 'title') AND term IN ('index', 'query', 'cache') GROUP BY 1")
+def document_field_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The first document with the term in its title, field by field."""
+    i = _index(spark, sf, "news")
+    # One row.
+    first = inspect.read_postings(i, "index", "title").agg(F.min("doc_id")).first()[0]
+    return inspect.document_scores(i, first, ["index", "query", "cache"]).withColumn("score", F.round("score", 6))
+
+
+@query(_NEWS_SQL + f"SELECT field, term, round({_sql_norm().replace('tf', 'ttf').replace('least(dl', 'least(1')}, 6) AS bound FROM v JOIN s USING (field)")
+def growing_term_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    i = _index(spark, sf, "news")
+    return inspect.loose_bounds(i.dictionary, i.stats).withColumn("bound", F.round("bound", 6))
+
+
+@query("""WITH p AS (SELECT segment_id, field, term, doc_id, max(coalesce(tf, 1)) AS tf FROM postings WHERE term IS NOT NULL AND term <> '' AND doc_id IS NOT NULL GROUP BY 1, 2, 3, 4),
+l AS (SELECT segment_id, field, term, count(*) AS df, sum(tf) AS ttf FROM p GROUP BY 1, 2, 3)
+SELECT segment_id, field, count(*) AS term_count, CAST(sum(df) AS BIGINT) AS entries, CAST(sum(ttf) AS BIGINT) AS occurrences, round(avg(df), 6) AS avg_df, max(df) AS max_df, arg_min(term, (-df, term)) AS max_term, CAST(sum((df + 127) // 128) AS BIGINT) AS skip_nodes FROM l GROUP BY 1, 2""")
+def field_build_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "postings").where("term is not null and term <> '' and doc_id is not null")
+    posts = rows.groupBy("segment_id", "field", "term", "doc_id").agg(F.max(F.coalesce("tf", F.lit(1))).alias("tf"))
+    return inspect.field_build_stats(posts).withColumn("avg_df", F.round("avg_df", 6))
+
+
+@query("SELECT DISTINCT doc_id FROM stored_docs WHERE coalesce(page_rank, 0) BETWEEN 0.25 AND 2.5")
+def filter_fast_field(spark: SparkSession, sf: str) -> DataFrame:
+    return planner.filter_docs(_index(spark, sf, "news"), "page_rank", 0.25, 2.5)
+
+
+@query(_NEWS_SQL + _sql_or([("body", "query"), ("body", "index")], 20, "JOIN d ON d.doc_id = b.doc_id AND coalesce(d.page_rank, 0) <= 0.5 AND coalesce(d.uid, 0) >= 3"))
+def filter_generic_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    ranges = (("page_rank", None, 0.5), ("uid", 3, None))
+    return _ranked(search(_index(spark, sf, "news"), "query index", 20, OR, NumericFilter(ranges=ranges), fields=["body"]))
+
+
+@query("SELECT v AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest([category, source]) AS v FROM stored_docs) WHERE v IS NOT NULL AND v <> '' GROUP BY 1")
+def combined_keyword_terms(spark: SparkSession, sf: str) -> DataFrame:
+    schema = Schema((Field("category", "keyword"), Field("source", "keyword"), Field("tags", "combined", "docs_only", sources=("category", "source"), verbatim=True)))
+    return indexing.postings(indexing.tokens(_news_docs(spark, sf), schema)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query("SELECT DISTINCT doc_id FROM (SELECT DISTINCT * FROM stored_docs ORDER BY doc_id LIMIT 300)")
+def ingest_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return jsonl.first(_news_docs(spark, sf), 300, "doc_id").select("doc_id")
+
+
+@query(_NEWS_SQL + f""", top AS ({_sql_or([('body', 'query')], 10)}) SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, coalesce(ext_id, 0) AS ext_id, printf('%.4f', score) AS score,
+left(coalesce(title, ''), 30) AS title, left(coalesce(source, ''), 50) AS source FROM top JOIN d USING (doc_id)""")
+def printed_results(spark: SparkSession, sf: str) -> DataFrame:
+    i = _index(spark, sf, "news")
+    return inspect.printed(_ranked(search(i, "body:query", 10)), i.docs)
 
 
 @query(_NEWS_SQL + f", top AS ({_sql_or([('body', 'query')], 10)}) SELECT doc_id, score, ext_id, title, source FROM top JOIN d USING (doc_id)")
@@ -413,30 +494,90 @@ def segment_liveness(spark: SparkSession, sf: str) -> DataFrame:
     return stats.liveness(docs, docs.where("doc_id % 7 = 0"))
 
 
-@query("SELECT event_id AS ext_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.absent') AS FLOAT), 0) AS absent FROM events")
+@query("""SELECT event_id AS ext_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, CAST(coalesce(value, 0) AS FLOAT) AS value, CAST(0 AS FLOAT) AS absent, 0::BIGINT AS kind FROM events""")
 def json_extract_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
-    return events.select(F.col("event_id").alias("ext_id"), jsonl.number("props", "k", "bigint").alias("k"), jsonl.number("props", "absent", "float").alias("absent"))
+    """Numbers from JSON: a quoted integer, a float, a key that is absent and one that holds no number."""
+    lines = table(spark, sf, "events").select("props", F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "value", F.col("event_type").alias("kind"))).alias("line"))
+    return lines.select(jsonl.number("line", "id", "bigint").alias("ext_id"), jsonl.number("props", "k", "bigint").alias("k"), *[jsonl.number("line", c, t).alias(c) for c, t in (("value", "float"), ("absent", "float"), ("kind", "bigint"))])
+
 
+_GATED = Schema((Field("category", "keyword", "freqs_only"), Field("title", "text", "freqs_only")))
 
-@query("SELECT doc_id FROM (SELECT DISTINCT * FROM stored_docs) WHERE coalesce(title, '') <> '' OR coalesce(body, '') <> '' OR coalesce(category, '') <> '' OR coalesce(source, '') <> ''")
+
+@query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN title END AS title, category FROM (SELECT DISTINCT * FROM stored_docs)) WHERE coalesce(title, '') <> '' OR coalesce(category, '') <> ''")
 def content_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return jsonl.with_content(_news_docs(spark, sf), NEWS).select("doc_id")
+    """Titles are blanked for two thirds here, so that documents without content exist."""
+    docs = _news_docs(spark, sf).withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.col("title")))
+    return jsonl.with_content(docs, _GATED).select("doc_id")
 
 
-@query()
+@query(f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]+'),
+lambda w: CASE WHEN w SIMILAR TO '[A-Za-z]+' AND {analysis.sql_stem("lower(w)")} = 'engine' THEN '[' || w || ']' ELSE w END), '') AS text FROM documents""")
 def highlight_terms(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", analysis.highlight(F.col("text"), ["engine"]).alias("text"))
+    return docs.select("doc_id", F.coalesce(analysis.highlight(F.col("text"), ["engine"]), F.lit("")).alias("text"))
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
-@query()
+@query(_NEWS_SQL + _sql_or([("body", "query"), ("body", "index")], 10))
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """All stored documents through the streaming ingest into a store, then a search there."""
-    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    base = _fresh(spark, "stream")
     _news_docs(spark, sf).repartition(4).write.parquet(f"{base}/in")
     store = Store(spark, f"{base}/store", NEWS)
     source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     ingest = Ingest(store, f"{base}/checkpoint", trigger={"availableNow": True})
     ingest.start(source).awaitTermination()
     return _ranked(search(store.snapshot(), "query index", 10, OR, fields=["body"]))
+
+
+@query(_NEWS_SQL + "SELECT field, term, df, ttf FROM v")
+def parallel_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Four writers add a quarter of the documents each to one store at the same time; its dictionary."""
+    where, docs = f"{_fresh(spark, 'parallel')}/store", _news_docs(spark, sf)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: Store(spark, where, NEWS).add(docs.where(F.pmod("doc_id", F.lit(4)) == k)), range(4)))
+    return Store(spark, where).snapshot().dictionary.select("field", "term", "df", "ttf")
+
+
+def _halves(spark: SparkSession, sf: str) -> Store:
+    """A store of two segments, with tombstones for the documents of small uid."""
+    store, docs = Store(spark, f"{_fresh(spark, 'halves')}/store", NEWS), _news_docs(spark, sf)
+    for k in (0, 1):
+        store.add(docs.where(F.pmod("doc_id", F.lit(2)) == k))
+    store.delete(store.docs().where(_DEAD))
+    return store
+
+
+@query(_NEWS_SQL + _sql_or([("body", "query"), ("body", "index")], 20, f"JOIN d ON d.doc_id = b.doc_id AND NOT coalesce(d.{_DEAD}, false)"))
+def store_tombstone_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(search(_halves(spark, sf).snapshot(), "query index", 20, OR, fields=["body"]))
+
+
+@query(_sql_tokens(f"SELECT DISTINCT * FROM stored_docs WHERE NOT coalesce({_DEAD}, false)", {"title": ("title", True), "body": ("body", True), "category": ("category", False), "source": ("source", False)}) + "SELECT field, term, df, ttf, round(bound, 6) AS max_tf_norm FROM v")
+def store_delete_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary after a merge: the dead count no longer."""
+    store = _halves(spark, sf)
+    store.merge("force")
+    return store.snapshot().dictionary.select("field", "term", "df", "ttf", F.round("max_tf_norm", 6).alias("max_tf_norm"))
+
+
+@query("SELECT 0 AS wrong")
+def store_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """A store after adds, deletions and a merge agrees with its documents."""
+    store = _halves(spark, sf)
+    store.merge("force")
+    return store.verify().agg(F.count(F.lit(1)).cast("int").alias("wrong"))
+
+
+@query(_NEWS_SQL + "SELECT field, term, df, ttf FROM v WHERE term IN ('query', 'index', 'tech')")
+def readers_as_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Two readers attached to a registry, a third attached and detached again."""
+    readers, docs = Readers(), _news_docs(spark, sf)
+    for k in range(3):
+        readers.add(f"part{k}", indexing.build(docs.where(F.pmod("doc_id", F.lit(2)) == k % 2), NEWS))
+    readers.remove("part2")
+    return readers.snapshot().dictionary.where(F.col("term").isin("query", "index", "tech")).select("field", "term", "df", "ttf")

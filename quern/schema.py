@@ -12,7 +12,10 @@ OPTIONS = ("none", "docs_only", "freqs_only", "freqs_positions")
 
 @dataclass(frozen=True)
 class Field:
-    """One declared field. ``multi`` fields hold arrays of strings; a ``combined`` field reads the fields in ``sources``."""
+    """One declared field. ``multi`` fields hold arrays of strings; a ``combined`` field reads the fields in ``sources``.
+
+    A combined field is analysed unless ``verbatim`` says that the values of its sources are terms as they stand.
+    """
 
     name: str
     type: str = "text"
@@ -21,6 +24,7 @@ class Field:
     fast: bool = False
     multi: bool = False
     sources: tuple[str, ...] = ()
+    verbatim: bool = False
 
     @property
     def inverted(self) -> bool:
@@ -28,13 +32,13 @@ class Field:
 
     @property
     def analysed(self) -> bool:
-        return self.type in ("text", "combined")
+        return self.type == "text" or self.type == "combined" and not self.verbatim
 
     @staticmethod
     def from_dict(raw: dict) -> Field:
         """Unknown types read as text, unknown index options as none."""
         kind, option = raw.get("type", "text"), raw.get("index", "none")
-        return Field(raw["name"], kind if kind in TYPES else "text", option if option in OPTIONS else "none", bool(raw.get("stored")), bool(raw.get("fast")), bool(raw.get("multi")), tuple(raw.get("sources") or ()))
+        return Field(raw["name"], kind if kind in TYPES else "text", option if option in OPTIONS else "none", bool(raw.get("stored")), bool(raw.get("fast")), bool(raw.get("multi")), tuple(raw.get("sources") or ()), bool(raw.get("verbatim")))
 
 
 @dataclass(frozen=True)

@@ -42,6 +42,11 @@ def with_content(docs: DataFrame, schema: Schema) -> DataFrame:
     return docs.where(F.greatest(*sizes, F.lit(0)) > 0) if sizes else docs.limit(0)
 
 
+def first(docs: DataFrame, n: int | None, order: str = "ext_id") -> DataFrame:
+    """The first ``n`` documents by ``order``, for a trial run; all where ``n`` is None or 0."""
+    return docs.orderBy(order).limit(n) if n else docs
+
+
 def synthetic(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """``n`` made-up documents: title, content, abstract, pubtime, uid, category."""
     nouns, kinds = ["engine", "index", "query", "segment", "vector", "corpus", "ranking", "storage"], ["tech", "news", "science", "sports", "travel"]

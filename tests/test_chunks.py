@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quern.operators import chunks
 
 POSTINGS = "segment_id int, field string, term string, doc_id bigint"
@@ -38,3 +40,14 @@ def test_wrong_statistics(spark):
     got = {tuple(r) for r in chunks.wrong_statistics(posts, terms, segs, 2).collect()}
     assert got == {(1, "body", "y"), (1, "body", "z"), (2, "*", "q")}
     assert chunks.wrong_statistics(posts.limit(0), terms.limit(0), segs.limit(0)).count() == 0
+
+
+def test_places_in_keys_of_which_one_holds_half(spark):
+    rows = [("hot", i) for i in range(600)] + [(f"k{i % 40}", i) for i in range(599)] + [(None, 3), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    placed = chunks.place_in_key(df, ["k"], "v")
+    want = {(k, v): sorted(x for y, x in rows if y == k).index(v) for k, v in rows}
+    assert {(r.k, r.v): r._place for r in placed.collect()} == want
+    sizes = [r[0] for r in placed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 600
+    assert chunks.place_in_key(df.limit(0), ["k"], "v").count() == 0

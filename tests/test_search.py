@@ -110,7 +110,30 @@ def test_nested_tree(spark):
 def test_a_search_is_one_scan_and_one_shuffle_of_postings(spark, tmp_path):
     index = build(spark, [(i, "x", "python code", 0, 0) for i in range(50)])
     index.postings.write.parquet(str(tmp_path / "p"))
-    index.postings = spark.read.parquet(str(tmp_path / "p"))
-    index.dictionary = indexing.term_dict(index.postings, index.stats)
+    indexing.term_dict(index.postings, index.stats).write.parquet(str(tmp_path / "d"))
+    index.postings, index.dictionary = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "d"))
+    index.stats = spark.createDataFrame(index.stats.collect(), index.stats.schema)
     plan = planner.matches(index, parse("+python -java code", ["body"]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan or "PushedFilters: [IsNotNull" in plan
+    assert plan.count("/p]") == 1 and plan.count("/d]") == 1
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 == plan.count("Exchange hashpartitioning")
+
+
+def test_numeric_filters_reach_the_scan(spark, tmp_path):
+    build(spark, [(i, "x", "python", i, i % 3) for i in range(20)]).docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for numeric, pushed in ((NumericFilter(5, 9), "GreaterThanOrEqual(pubtime,5), LessThanOrEqual(pubtime,9)"), (NumericFilter(uid=2), "EqualTo(uid,2)"), (NumericFilter(ranges=(("uid", None, 1),)), "Or(LessThanOrEqual(uid,1),IsNull(uid))")):
+        assert pushed in docs.where(numeric.condition())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pruned_search_equals_unpruned_and_adds_up_less(spark):
+    rng = random.Random(8)
+    rows = [(i, "", " ".join(["common"] * rng.randrange(1, 4) + ["often"] * (rng.random() < 0.6) + ["rare"] * (3 * (rng.random() < 0.1)) + ["filler"] * rng.randrange(9)), 0, 0) for i in range(1, 401)]
+    index = build(spark, rows)
+    for text, k in (("common often rare", 10), ("common rare rare", 5), ("often common", 400), ("rare missing", 3), ("common", 7)):
+        tree = parse(text, ["body"], OR)
+        full = {r.doc_id: r.score for r in planner.matches(index, tree).collect()}
+        want = sorted(((-s, d) for d, s in full.items()))[:k]
+        got = search(index, text, k, OR, fields=["body"]).collect()
+        assert [r.doc_id for r in got] == [d for _, d in want] and all(abs(r.score + s) < 1e-9 for r, (s, _) in zip(got, want, strict=True))
+    assert planner.pruned(index, list(parse("common often rare", ["body"], OR).terms()), 10).count() < 100
