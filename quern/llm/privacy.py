@@ -5,8 +5,10 @@ by a list of given and family names, widened by the stems and endings that the l
 a replacement derived from a secret key, the same wherever the entity occurs, whatever its spelling (case, order of a
 name, separators of a number). Two styles exist: a typed placeholder with a short keyed tag, and a surrogate of the same
 type and format (a name of the same ending class for a name, digits for digits, upper case for upper case). Replacements
-of different entities are checked against each other over the whole corpus; where two collide, the later entity is drawn
-again until all differ.
+of different entities are checked against each other and against the entities of the whole corpus; where two collide, the
+later one is drawn again until all differ. A replacement is a function of key and entity wherever the first draw holds, so
+only the entities drawn again form a table; it goes to all tasks up to ``REDRAWN`` rows, and texts and mentions stay where
+they are, however often an entity occurs.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from quern.runtime import cut, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-KEY = "quern"
 ROUNDS = 20
+REDRAWN = 500_000  # entities drawn again that are sent to all tasks; more are joined by shuffle
 
 _INVISIBLE = re.compile("[­͏؜​-‏‪-‮⁠-⁯﻿]")
 _S = "[  ]"
@@ -38,7 +40,7 @@ _EMAIL = re.compile(
     rf"|{_S}(?:at|AT){_S}{_LABEL}(?:\.{_LABEL})*\.(?:com|org|net|edu|example|test|invalid|COM|ORG|NET|EDU|EXAMPLE|TEST|INVALID))(?![A-Za-z0-9])"
 )
 _AT = re.compile(rf"@|[\[({{](?:at|AT)[\])}}]|{_S}(?:at|AT){_S}(?={_LABEL}(?:{_S}(?:dot|DOT){_S}|\.[A-Za-z0-9]))")
-_REACH = 160  # characters before and after the sign that an address is looked for in
+_LOCAL_CHARS, _DOMAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"), re.compile(r"[A-Za-z0-9.\-  \[\](){}]*")
 _PHONE = re.compile(
     r"(?<![\w.+\-/])(?:"
     rf"\+\d{{1,3}}(?:{_S}?\(\d{{1,5}}\){_S}?\d{{2,5}}(?:[  .-]\d{{2,5}}){{1,3}}|(?:[  .-]\d{{2,5}}){{2,5}}|\d{{8,12}})"
@@ -147,8 +149,12 @@ def find(text: str | None, names: Names) -> list[tuple[str, int, int, str]]:
         text = "".join(text[i] for i in places[:-1])
     found: list[tuple[str, int, int, str]] = []
     for sign in _AT.finditer(text):
-        begin = max(found[-1][2] if found else 0, sign.start() - _REACH)
-        m = next((m for m in _EMAIL.finditer(text, begin, sign.end() + _REACH) if m.start() < sign.start() < m.end()), None)
+        least, begin = found[-1][2] if found else 0, sign.start()
+        if begin > least and text[begin - 1] in "  ":
+            begin -= 1
+        while begin > least and text[begin - 1] in _LOCAL_CHARS:
+            begin -= 1
+        m = next((m for m in _EMAIL.finditer(text, begin, _DOMAIN.match(text, sign.end()).end()) if m.start() < sign.start() < m.end()), None)
         if m:
             entity = re.sub(r"[\s\[\](){}]+", " ", m.group().lower())
             entity = re.sub(r" ?(?:@| at ) ?", "@", entity)
@@ -222,12 +228,14 @@ def replacement(kind: str, entity: str, key: str, attempt: int, style: str, give
     """The canonical replacement of an entity: lower case for names, e-mail and street addresses, bare for numbers."""
     number = _draw(key, kind, entity, attempt)
     if style == "placeholder":
-        return f"[{kind.upper()}_{number % 16**8:08x}]"
+        return f"[{kind.upper()}_{number % 16**12:012x}]"
     if kind == "name":
         first, last = entity.split(" ", 1)
         same = [g for g in given if g.endswith("a") == first.endswith("a")] or given or ["nomen"]
         pick = f"{chr(97 + _draw(key, 'initial', first, attempt) % 26)}." if first.endswith(".") else same[_draw(key, "given", first, attempt) % len(same)]
-        return pick + " " + "-".join((family or ["nescio"])[_draw(key, "family", half, attempt) % max(1, len(family))] for half in last.split("-"))
+        # with the list nearly used up, family names become double ones
+        halves = [*last.split("-"), *[f"{last} {i}" for i in range(attempt // 7)]]
+        return pick + " " + "-".join((family or ["nescio"])[_draw(key, "family", half, attempt) % max(1, len(family))] for half in halves)
     if kind == "email":
         return f"user{number % 10**9:09d}@mail.example.org"
     if kind == "address":
@@ -268,13 +276,18 @@ def _render(kind: str, mention: str, canonical: str, style: str) -> str:
     return "".join(next(flat, ch) if ch.isdigit() or ch.isascii() and ch.isupper() else ch for ch in mention)
 
 
-def replacements(found: DataFrame, names: DataFrame, key: str = KEY, style: str = "placeholder") -> DataFrame:
-    """(``kind``, ``entity``, ``canonical``): one replacement per entity, no two alike within a kind.
+def _lists(names: DataFrame) -> tuple[list[str], list[str]]:
+    given, family = _listed(names)
+    return sorted(g.lower() for g in given), sorted(f.lower() for f in family)
+
 
-    Entities are drawn in rounds; an entity whose replacement another one holds is drawn again in the next round.
+def redrawn(found: DataFrame, names: DataFrame, key: str, style: str) -> DataFrame:
+    """(``kind``, ``entity``, ``canonical``) of the entities whose first draw does not hold; all others keep it.
+
+    Entities are drawn in rounds; one whose replacement another one holds, or which occurs in the corpus as an entity
+    itself, is drawn again in the next round.
     """
-    given, family = _listed(names)
-    lists = found.sparkSession.sparkContext.broadcast((sorted(g.lower() for g in given), sorted(f.lower() for f in family)))
+    lists = found.sparkSession.sparkContext.broadcast(_lists(names))
 
     def draw(attempt: int, todo: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,48 +298,87 @@ def replacements(found: DataFrame, names: DataFrame, key: str = KEY, style: str
 
         return todo.mapInPandas(run, "kind string, entity string, canonical string")
 
-    todo = found.select("kind", "entity").distinct()
-    held: DataFrame | None = None
+    entities = cut(found.select("kind", "entity").distinct(), "entities")
+    todo, held = entities, None
+    first = Window.partitionBy("kind", "canonical").orderBy("entity")
+    kept: list[DataFrame] = []
     for attempt in range(ROUNDS):
-        drawn = draw(attempt, todo)
-        first = Window.partitionBy("kind", "canonical").orderBy("entity")
-        ranked = drawn.withColumn("_place", F.row_number().over(first))
+        ranked = draw(attempt, todo).withColumn("_place", F.row_number().over(first))
+        ranked = ranked.join(entities.select("kind", F.col("entity").alias("canonical"), F.lit(True).alias("_real")), ["kind", "canonical"], "left")
         if held is not None:
             ranked = ranked.join(held.select("kind", "canonical", F.lit(True).alias("_held")), ["kind", "canonical"], "left")
         else:
             ranked = ranked.withColumn("_held", F.lit(None).cast("boolean"))
-        ranked = cut(ranked.select("kind", "entity", "canonical", (F.col("_held").isNull() & (F.col("_place") == 1)).alias("_good")), "drawn")
-        good = ranked.where("_good").select("kind", "entity", "canonical")
-        held = good if held is None else held.unionByName(good)
+        good = F.col("_held").isNull() & F.col("_real").isNull() & (F.col("_place") == 1)
+        ranked = cut(ranked.select("kind", "entity", "canonical", good.alias("_good")), "drawn")
+        fine = ranked.where("_good").select("kind", "entity", "canonical")
+        held = fine if held is None else held.unionByName(fine)
+        if attempt:
+            kept.append(fine)
         todo = ranked.where("not _good").select("kind", "entity")
         if todo.isEmpty():
-            return held
-    # With every list of names used up, a number makes the rest distinct.
-    rest = draw(ROUNDS, todo).withColumn("canonical", F.concat("canonical", F.lit("-"), F.substring(F.sha2(F.col("entity"), 256), 1, 16)))
-    return held.unionByName(rest)
-
-
-def replaced_mentions(docs: DataFrame, names: DataFrame, key: str = KEY, style: str = "placeholder", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``mentions`` plus ``replacement``, as it stands in the new text."""
+            break
+    else:  # with every name used up, a number makes the rest distinct
+        kept.append(draw(ROUNDS, todo).withColumn("canonical", F.concat("canonical", F.lit("-"), F.substring(F.sha2(F.col("entity"), 256), 1, 16))))
+    out = kept[0] if kept else entities.limit(0).withColumn("canonical", F.lit(""))
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return cut(out, "redrawn")
+
+
+def replaced_mentions(docs: DataFrame, names: DataFrame, key: str, style: str = "surrogate", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``mentions`` plus ``replacement``, as it stands in the new text. ``key`` is the caller's secret; the empty key is refused."""
+    if not key:
+        raise ValueError("a secret key is needed: without one anybody could rebuild the replacements")
     found = cut(mentions(docs, names, doc_id, text), "mentions")
-    drawn = replacements(found, names, key, style)
+    again = redrawn(found, names, key, style)
+    lists = found.sparkSession.sparkContext.broadcast(_lists(names))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, f = lists.value
         for b in batches:
-            b["replacement"] = [_render(k, m, c, style) for k, m, c in zip(b["kind"], b["mention"], b["canonical"], strict=True)]
+            drawn = [c if isinstance(c, str) else replacement(k, e, key, 0, style, g, f) for k, e, c in zip(b["kind"], b["entity"], b["canonical"], strict=True)]
+            b["replacement"] = [_render(k, m, c, style) for k, m, c in zip(b["kind"], b["mention"], drawn, strict=True)]
             yield b.drop(columns="canonical")
 
-    joined = found.join(drawn, ["kind", "entity"]).select(*found.columns, "canonical")
+    side = F.broadcast(again) if again.count() <= REDRAWN else again
+    joined = found.join(side, ["kind", "entity"], "left").select(*found.columns, "canonical")
     return joined.mapInPandas(render, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", replacement string")
 
 
-def replace(docs: DataFrame, names: DataFrame, key: str = KEY, style: str = "placeholder", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, names: DataFrame, key: str, style: str = "surrogate", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text): every text with its mentions replaced and all else unchanged, one row per row of ``docs``.
 
-    NULL texts stay NULL. Texts of the same id must be equal, or each is replaced by the mentions of its own only where
-    the positions agree; whole repeated rows are safe.
+    NULL texts stay NULL. Texts are read twice, once for the entities of the corpus and once to be rewritten where they lie;
+    they are shuffled only where more than ``REDRAWN`` entities had to be drawn again.
     """
-    done = replaced_mentions(docs, names, key, style, doc_id, text)
+    if not key:
+        raise ValueError("a secret key is needed: without one anybody could rebuild the replacements")
+    spark = docs.sparkSession
+    again = redrawn(mentions(docs, names, doc_id, text), names, key, style)
+    plain = docs.select(docs[doc_id].cast("bigint").alias(doc_id), docs[text].cast("string").alias(text))
+    if again.count() > REDRAWN:
+        return _replace_by_join(plain, replaced_mentions(docs, names, key, style, doc_id, text), doc_id, text)
+    sent = spark.sparkContext.broadcast((_listed(names), _lists(names), {(r.kind, r.entity): r.canonical for r in again.collect()}))  # at most REDRAWN rows
+
+    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed, (g, f), held = sent.value
+        known = Names(*listed)
+        for b in batches:
+            out = []
+            for t in b[text]:
+                parts, at = [], 0
+                for kind, a, z, entity in find(t, known) if t else []:
+                    canonical = held.get((kind, entity)) or replacement(kind, entity, key, 0, style, g, f)
+                    parts += [t[at:a], _render(kind, t[a:z], canonical, style)]
+                    at = z
+                out.append("".join(parts) + t[at:] if parts else t)
+            yield pd.DataFrame({doc_id: b[doc_id], text: out})
+
+    return spread(plain).mapInPandas(rewrite, f"`{doc_id}` bigint, `{text}` string")
+
+
+def _replace_by_join(plain: DataFrame, done: DataFrame, doc_id: str, text: str) -> DataFrame:
     edits = done.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "mention", "replacement"))).alias("_edits"))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,5 +396,4 @@ def replace(docs: DataFrame, names: DataFrame, key: str = KEY, style: str = "pla
                 out.append(t)
             yield pd.DataFrame({doc_id: b[doc_id], text: out})
 
-    plain = docs.select(docs[doc_id].cast("bigint").alias(doc_id), docs[text].cast("string").alias(text))
     return plain.join(edits, doc_id, "left").mapInPandas(rewrite, f"`{doc_id}` bigint, `{text}` string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,16 +121,22 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_mentions(spark, sf).select("doc_id", "kind", "start_pos")
 
 
+def _key() -> str:
+    """A secret for one call: these queries show positions and forms, which do not depend on it."""
+    return secrets.token_hex(16)
+
+
 @query()
 def p8_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.replaced_mentions(table(spark, sf, "documents"), table(spark, sf, "person_names"))
+    """Every mention with its surrogate."""
+    return privacy.replaced_mentions(table(spark, sf, "documents"), table(spark, sf, "person_names"), _key())
 
 
 @query()
 def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"))
+    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"), _key(), style="placeholder")
 
 
 @query()
 def p8_surrogates(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"), style="surrogate")
+    return privacy.replace(table(spark, sf, "documents"), table(spark, sf, "person_names"), _key())

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from quern.llm import privacy
 
 GIVEN = [s + e for s in ("Bram", "Dag", "Eld", "Fenn", "Hal", "Ild", "Jel", "Kest", "Lum") for e in ("al", "en", "ena", "et", "ira", "or")]
@@ -9,6 +11,7 @@ LISTED = [(g, "given") for g in GIVEN if g not in ("Elden", "Halor")] + [(f, "fa
 CASES = [
     ("Write to bramal.duskmere@mail.x-lab.example.com for access.", [("email", "bramal.duskmere@mail.x-lab.example.com")]),
     ("The maintainer <eldo+index (at) mail dot foo dot invalid> replied; schema@v1.2, shard@node5, @Override", [("email", "eldo+index (at) mail dot foo dot invalid")]),
+    ("Long: " + "x" * 300 + ".y@" + "d" * 60 + ".example.com", [("email", "x" * 300 + ".y@" + "d" * 60 + ".example.com")]),
     ("mailto:a.b [at] c.example or X_Y@Z.TEST.", [("email", "a.b [at] c.example"), ("email", "X_Y@Z.TEST")]),
     ("We met at the quarry. Voicemail at +1 (588) 555-0140 is full.", [("phone", "+1 (588) 555-0140")]),
     ("tel:+49 30 23125 759\nFax 01 99 00 05 49. (417) 555 0112; 432-555-0115, 01632 960867", [("phone", p) for p in ("+49 30 23125 759", "01 99 00 05 49", "(417) 555 0112", "432-555-0115", "01632 960867")]),
@@ -40,11 +43,11 @@ def test_mentions(spark):
 
 def test_placeholders_keep_the_rest(spark):
     docs, names = frames(spark, [(i, t) for i, (t, _) in enumerate(CASES)] + [(90, None), (91, "")])
-    got = {r.doc_id: r.text for r in privacy.replace(docs, names).collect()}
+    got = {r.doc_id: r.text for r in privacy.replace(docs, names, "k", "placeholder").collect()}
     assert got[90] is None and got[91] == "" and len(got) == len(CASES) + 2
     for i, (text, want) in enumerate(CASES):
         parts = [re.escape(p) for p in re.split("|".join(re.escape(m) for _, m in want), text)] if want else [re.escape(text)]
-        pattern = parts[0] + "".join(rf"\[{kind.upper()}_[0-9a-f]{{8}}\]{p}" for (kind, _), p in zip(want, parts[1:], strict=True))
+        pattern = parts[0] + "".join(rf"\[{kind.upper()}_[0-9a-f]{{12}}\]{p}" for (kind, _), p in zip(want, parts[1:], strict=True))
         assert re.fullmatch(pattern, got[i], re.S)
 
 
@@ -52,7 +55,7 @@ def test_surrogates_are_consistent_and_distinct(spark):
     people = [f"{g} {f}" for g in GIVEN[:25] for f in FAMILY[:12]]
     rows = [(i, f"by {p}, call 432-555-{i:04d}") for i, p in enumerate(people)] + [(5000, "Brennani, Bramal and BRAMAL BRENNANI and bramal.x@y.test"), (5001, "Call 432.555.0003 or (432) 555-0003")]
     docs, names = frames(spark, rows)
-    out = privacy.replaced_mentions(docs, names, style="surrogate").toPandas()
+    out = privacy.replaced_mentions(docs, names, "k").toPandas()
     for kind in ("name", "phone"):
         mine = out[(out.kind == kind) & (out.doc_id < 5000)]
         assert mine.replacement.nunique() == mine.entity.nunique() == len(people)
@@ -62,5 +65,12 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert all(m[0].endswith("a") == r.split()[0].endswith("a") for m, r in ((m.split(), r) for m, r in zip(out[out.kind == "name"].mention, out[out.kind == "name"].replacement, strict=True) if "," not in m and not m.isupper()))
     three = out[(out.kind == "phone") & (out.entity == "4325550003")].replacement
     assert len({re.sub(r"\D", "", r) for r in three}) == 1 and all(re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for a, b in zip(out[out.kind == "phone"].mention, out[out.kind == "phone"].replacement, strict=True))
-    other = privacy.replaced_mentions(docs, names, key="other", style="surrogate").toPandas()
+    assert not set(out[out.kind == "name"].replacement.str.lower()) & {p.lower() for p in people}  # no surrogate is a person of the corpus
+    joined = {(r.doc_id, r.start_pos): r.replacement for r in out.itertuples()}
+    for r in privacy.replace(docs, names, "k").collect():
+        mine = [v for (d, _), v in joined.items() if d == r.doc_id]
+        assert mine and all(v in r.text for v in mine)
+    with pytest.raises(ValueError):
+        privacy.replace(docs, names, "")
+    other = privacy.replaced_mentions(docs, names, "other").toPandas()
     assert (other.sort_values(["doc_id", "start_pos"]).replacement.to_numpy() != out.sort_values(["doc_id", "start_pos"]).replacement.to_numpy()).mean() > 0.9
