@@ -39,7 +39,14 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that nothing reads any more."""
+    remove(df.sparkSession, df._cut)
 
 
 def remove(spark: SparkSession, path: str) -> None:
