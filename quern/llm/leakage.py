@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from quern.runtime import cut, spread
 
 SPAN = 13
-MASKS = ("1110110010111", "1101011101011")
+MASKS = ("1110100001101", "1011000111001")
 FILTER_BITS = 24  # 2 MB, whatever the number of items
 MISMATCH = 3  # matching words that a substitution inside an overlap costs
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>@]{0,300}>|&(?:[A-Za-z]{2,8}|#[0-9]{1,6}|#x[0-9A-Fa-f]{1,6});")
+_TAG = re.compile(r"""</?[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z:-]+=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>|&(?:[A-Za-z]{2,8}|#[0-9]{1,6}|#x[0-9A-Fa-f]{1,6});""")
 
 
 def clean(text: str | None) -> str:

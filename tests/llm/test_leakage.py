@@ -49,3 +49,20 @@ def test_substitutions_inside_an_overlap(spark):
     ev = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, item_text string")
     r = leakage.overlaps(docs, ev).first()
     assert (r.run, r.words, r.matched, r.doc_pos, r.item_pos) == (14, 36, 34, 6, 4)  # three words before the first substitution do not outweigh it
+
+
+def test_only_real_tags_are_markup():
+    got = leakage.word_lists(["<p class='x'>a</p><br/> <Quote: one two three> if a <b and c> d <a href=\"u v\">e</a>"])[0].as_py()
+    assert got == "a quote one two three if a b and c d e".split()
+
+
+def test_masks_find_passages_with_substitutions():
+    """At random substitutions in 10 and 15 % of the words, at least nine of ten passages of 20 words share a seed."""
+    rng = random.Random(3)
+    masks = [[i for i, bit in enumerate(m) if bit == "1"] for m in leakage.MASKS]
+    for share in (0.1, 0.15):
+        found = 0
+        for _ in range(3000):
+            same = [rng.random() >= share for _ in range(20)]
+            found += any(all(same[a + i] for i in m) for m in masks for a in range(20 - leakage.SPAN + 1))
+        assert found >= 2700
